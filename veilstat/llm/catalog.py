@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, tokens
+from . import mixing, pieces, tokens, vectors
 
 QUERIES = {
+    "op2_pivot_topk": vectors.op2_pivot_topk,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_token_ids": tokens.op5_token_ids,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
+ORACLES = {"op2_pivot_topk": vectors.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL}

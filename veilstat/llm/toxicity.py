@@ -53,22 +53,18 @@ def _codes(text: str) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_SIZE**3, np.int64)
     for b in batches:
-        for x in b.column(0):
-            if t := x.as_py():
-                s = _codes(f"  {t.lower()}  ")
-                k = (s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:]
-                total += np.bincount(k, minlength=len(total)) if len(k) > 100_000 else 0
-                if len(k) <= 100_000:
-                    np.add.at(total, k, 1) if len(k) < 50 else _add(total, k)
+        held, n = [], 0
+        for x in [*b.column(0).to_pylist(), None]:
+            held.append(x or "")
+            n += len(held[-1])
+            if x is None or n > 1 << 20:
+                s = _codes("  ".join(["", *held, ""]).lower())
+                total += np.bincount((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:], minlength=len(total))
+                held, n = [], 0
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
 
-def _add(total: np.ndarray, k: np.ndarray) -> None:
-    u, n = np.unique(k, return_counts=True)
-    total[u] += n
-
-
 def trigrams(texts: DataFrame) -> np.ndarray:
     """Costs (negative logs) of the third symbol after two, from counts over all texts; a table of fixed size."""
     rows = texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -163,7 +159,7 @@ class Scorer:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        for t in tokens - known.keys():
+        for t in [t for t in tokens if t not in known]:
             known[t] = max(map(self.model.evidence, self.restore.token(t)), default=0.0)
         top = heapq.nlargest(3, map(known.__getitem__, tokens))
         if apart := self.restore.spaced(text):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hnsw, mixing, pieces, tokens, toxicity, vectors
+from . import hnsw, mixing, pieces, substrings, tokens, toxicity, vectors
 
 QUERIES = {
     "op2_pivot_topk": vectors.op2_pivot_topk,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_token_ids": tokens.op5_token_ids,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_hnsw": hnsw.op8_hnsw,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sentencepiece": pieces.op10_sentencepiece,

@@ -31,7 +31,7 @@ SHRINK, STEMS = 4.0, (3, 4, 5, 6)
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: Which letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SWAP, DROP_SIGN, DROP_DIGIT, DROP_EDGE, FOLD = 0.7, 1.2, 3.0, 0.2, 0.3
+SWAP, DROP_SIGN, DROP_DIGIT, DROP_EDGE, FOLD = 0.7, 4.0, 6.0, 0.2, 0.3
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SIZE = len(LETTERS) + 1
 _TABLE = np.zeros(0x250, np.int32)
@@ -42,6 +42,7 @@ _RUN = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(rf"[{LETTERS}]+|[^\W\d_{LETTERS}]+")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£]")
+_APART = re.compile(r"[^\W_]{1,2}(?:[._*-][^\W_]{1,2}){3,}")
 _EDGE = " \t.,;:?\"'`#%&*)[]{}<>/\\~^=_-…«»“”„’‘"
 
 
@@ -95,7 +96,7 @@ def decode(token: str, cost: np.ndarray, spaced: bool = False) -> str:
     states = {(0, 0): (0.0, "")}
     for i, run in enumerate(runs):
         nxt: dict = {}
-        for out, extra in _options(run, i in (0, len(runs) - 1), spaced):
+        for out, extra in _options(run, i == len(runs) - 1, spaced):
             for (a, b), (c, text) in states.items():
                 c += extra
                 for x in out:
@@ -119,7 +120,9 @@ class Restorer:
         if _PLAIN.fullmatch(t) and not _ODD.search(t):
             return [t]
         letters = sum(c.isalpha() for c in t)
-        if letters and len(t) <= 40 and 2 * letters >= len(t) - sum(len(m[0]) for m in _RUN.finditer(t) if len(m[0]) > 1 and not m[0][0].isalpha()) and _ODD.search(t):
+        if _APART.fullmatch(t):
+            return decode(t, self.cost, True).split()
+        if letters and len(t) <= 40 and 3 * letters >= len(t) - sum(len(m[0]) for m in _RUN.finditer(t) if len(m[0]) > 1 and not m[0][0].isalpha()) and _ODD.search(t):
             return [w for x in re.split(r"[-/.,;:'’_=]", t) if x for w in (_WORDS.findall(decode(x, self.cost)) if _ODD.search(x) else _WORDS.findall(x))]
         return _WORDS.findall(t)
 

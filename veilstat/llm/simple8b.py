@@ -24,6 +24,12 @@ _HEAD = struct.Struct("<4sIQII")
 
 def _widths(v: np.ndarray) -> np.ndarray:
     """The narrowest width of BITS that each value fits in; 64: none."""
+    if v.max(initial=0) < len(_NARROW):
+        return _NARROW[v]
+    return _width(v)
+
+
+def _width(v: np.ndarray) -> np.ndarray:
     w = np.ones(v.shape, np.uint8)
     classes = [int(b) for b in np.unique(BITS[1:])]
     for low, b in zip(classes, [*classes[1:], 64]):
@@ -31,6 +37,9 @@ def _widths(v: np.ndarray) -> np.ndarray:
     return w
 
 
+_NARROW = _width(np.arange(1 << 17, dtype=np.uint64))
+
+
 def _choices(w: np.ndarray) -> np.ndarray:
     """For each place of each block (a row), the selector that takes most values from there."""
     rows, n = w.shape

@@ -17,13 +17,22 @@ from pyspark.sql import functions as F
 from . import common, simple8b
 
 #: Ids after which a segment is closed (a longer document still stays in one segment).
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 20
 #: Distinct chunks whose ids a Python worker remembers.
-CACHE_ENTRIES = 400_000
-#: Places where the byte-level pre-tokeniser always ends a piece, whatever stands around: after a Latin letter, full
-#: stop or comma before a blank or line end, and after a Latin letter before a full stop or comma. Chunks between them
-#: can be encoded alone.
-_CUT = re.compile(r"(?<=[a-zA-Zà-öø-ÿ.,])(?=[ \n])|(?<=[a-zA-Zà-öø-ÿ])(?=[.,])")
+CACHE_ENTRIES = 900_000
+#: Places where the byte-level pre-tokeniser always ends a piece, whatever stands around: before a blank or line end
+#: that follows no white space, and before a full stop or comma that follows a Latin letter or digit. Chunks between
+#: them can be encoded alone. A text in which each of these four characters stands so is cut without the pattern.
+_CUT = re.compile(r"(?<=[^\s])(?=[ \n])|(?<=[a-zA-Z0-9à-öø-ÿ])(?=[.,])")
+_UNCUT = re.compile(r"\s[ \n]|[^a-zA-Z0-9à-öø-ÿ][.,]|\0")
+
+
+def chunks(text: str) -> list[str]:
+    if _UNCUT.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0")
+
+
 _state: dict = {}
 SEGMENT_SCHEMA = "part int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -38,7 +47,7 @@ class ChunkEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_CUT.split(x) for x in texts]
+        parts = [chunks(x) for x in texts]
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hnsw, mixing, pieces, substrings, tokens, toxicity, vectors
+from . import hnsw, mixing, neardup, pieces, substrings, tokens, toxicity, vectors
 
 QUERIES = {
     "op2_pivot_topk": vectors.op2_pivot_topk,
+    "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_token_ids": tokens.op5_token_ids,
     "op7_substring_dedup": substrings.op7_substring_dedup,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import hnsw, mixing, neardup, pieces, substrings, tokens, toxicity, vectors
+from . import hnsw, lines, mixing, neardup, pieces, substrings, tokens, toxicity, vectors
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_pivot_topk": vectors.op2_pivot_topk,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_mix_sources": mixing.op4_mix_sources,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, lines, mixing, neardup, pieces, substrings, tokens, toxicity, vectors
+from . import hnsw, lines, mixing, neardup, pieces, secrets, substrings, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_token_ids": tokens.op5_token_ids,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_hnsw": hnsw.op8_hnsw,
     "op9_toxicity": toxicity.op9_toxicity,

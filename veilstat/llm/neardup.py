@@ -23,8 +23,8 @@ from . import common
 
 #: Rows of a band; chance that a pair at the threshold shares no band; posterior below which a pair is dropped; signatures per batch.
 ROWS, MISS, POSTERIOR, BATCH = 5, 1e-6, 1e-7, 16
-#: Partners tried at once for each open class and component; distinct words a Python worker remembers.
-TRIES, CACHE_ENTRIES = 3, 600_000
+#: Distinct words a Python worker remembers.
+CACHE_ENTRIES = 600_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _state: dict = {"words": {}}
 
@@ -100,16 +100,20 @@ def _sign(k: int, n: int) -> Callable:
     return run
 
 
+def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    s, out = sig.astype(np.uint64), np.zeros((len(sig), bands), np.uint64)
+    for i in range(bands):
+        h = np.full(len(sig), np.uint64(i + 1))
+        for j in range(ROWS):
+            h = _mix(h + s[:, i * ROWS + j])
+        out[:, i] = h
+    return out
+
+
 def _bands(bands: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint64)
-            out = np.zeros((b.num_rows, bands), np.uint64)
-            for i in range(bands):
-                h = np.full(b.num_rows, np.uint64(i + 1))
-                for j in range(ROWS):
-                    h = _mix(h + s[:, i * ROWS + j])
-                out[:, i] = h
+            out = _band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1), bands)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands)
             for lo in range(0, len(ids), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1)[lo : lo + 50_000].view(np.int64)), pa.array(ids[lo : lo + 50_000])], names=["band", "node"])
@@ -147,28 +151,42 @@ def _confirm(k: int, percent: int) -> Callable:
     return run
 
 
-def _open_pairs(threshold: float) -> Callable:
-    """Within each band (rows sorted by it), the best pairs between components that are not yet tried."""
+def _open_links(k: int, percent: int, bands: int) -> Callable:
+    """Within each band (rows sorted by it), links that join components, after trying all pairs between them.
 
-    def search(node, comp, sig, tried):
-        n = len(node)
-        least = [least_matches(lo + BATCH, threshold) for lo in range(0, sig.shape[1], BATCH)]
-        for i in range(n):
-            c = np.flatnonzero(comp > comp[i])
+    A pair is tried in the first band that it shares only. Pairs are never rows: a class is compared with all others of
+    its band at once, and what comes out is at most one link per class and component that it joins.
+    """
+    threshold = percent / 100
+
+    def search(key, node, comp, sig, texts):
+        n, cuts = len(node), {lo: least_matches(lo + BATCH, threshold) for lo in range(0, sig.shape[1], BATCH)}
+        parts = sig[:, : bands * ROWS].reshape(n, bands, ROWS)
+        own = int(np.flatnonzero(_band_keys(sig[:1], bands)[0].view(np.int64) == key)[0])
+        sets = [shingles(t, k) for t in texts]
+        size = np.array([len(s) for s in sets])
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(size) - size
+        group = np.unique(comp, return_inverse=True)[1]
+        for i in range(n - 1):
+            c = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
             hits = np.zeros(len(c), np.int64)
-            for lo, m in zip(range(0, sig.shape[1], BATCH), least):
+            for lo, least in cuts.items():
                 hits = hits + (sig[c, lo : lo + BATCH] == sig[i, lo : lo + BATCH]).sum(1)
-                ok = hits >= m
-                c, hits = c[ok], hits[ok]
-                if not len(c):
-                    break
-            taken: dict = {}
-            for j in c[np.argsort(-hits, kind="stable")]:
-                x, y = min(node[i], node[j]), max(node[i], node[j])
-                if y in tried.get(x, ()) or taken.get(comp[j], 0) >= TRIES:
-                    continue
-                taken[comp[j]] = taken.get(comp[j], 0) + 1
-                yield x, y
+                c, hits = c[hits >= least], hits[hits >= least]
+            c = c[(parts[c, :own] == parts[i, :own]).all(2).sum(1) == 0] if own else c
+            if not len(c):
+                continue
+            if len(c) < 16:
+                both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in c])
+            else:
+                mark = np.zeros(len(vocabulary), np.int32)
+                mark[flat[first[i] : first[i] + size[i]]] = 1
+                both = np.add.reduceat(mark[flat], first)[c]
+            for j in c[100 * both >= percent * (size[i] + size[c] - both)]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    yield int(min(node[i], node[j])), int(max(node[i], node[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -176,9 +194,9 @@ def _open_pairs(threshold: float) -> Callable:
         def out():
             node, comp = np.array([r[1] for r in held]), np.array([r[2] for r in held])
             sig = np.frombuffer(b"".join(r[3] for r in held), np.uint32).reshape(len(held), -1)
-            pairs = list(search(node, comp, sig, {r[1]: set(r[4]) for r in held if r[4]}))
+            pairs = list(search(at, node, comp, sig, [r[4] for r in held]))
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -240,17 +258,14 @@ def classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_
     if rest.take(1):
         found.append(confirmed(rest))
         comps = grown(found)
-    while True:
-        tried = reduce(DataFrame.unionByName, [x.where("not linked").select("a", "b") for x in found])
-        inside = placed(shared.where("size > 2"), comps, "node", "comp")
-        mixed = inside.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        open_ = inside.join(mixed, "band").join(sigs, "node").join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "node", "left")
-        open_ = open_.select("band", "node", "comp", "sig", "tried").repartition(F.col("band")).sortWithinPartitions("band")
-        pairs = common.materialize(open_.mapInArrow(_open_pairs(threshold), "a long, b long").distinct(), "open")
-        if not pairs.take(1):
-            break
-        found.append(confirmed(pairs))
-        comps = grown(found)
+    inside = placed(shared.where("size > 2"), comps, "node", "comp")
+    mixed = inside.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    open_ = common.materialize(inside.join(mixed, "band").select("band", "node", "comp"), "open")
+    held = open_.select("node").distinct().join(sigs, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    ready = open_.join(held, "node").select("band", "node", "comp", "sig", "text").repartition(F.col("band")).sortWithinPartitions("band")
+    more = common.materialize(ready.mapInArrow(_open_links(k, percent, bands_for(threshold)), "a long, b long").distinct(), "open")
+    if more.take(1):
+        comps = grown([*found, more.withColumn("linked", F.lit(True))])
     final = placed(lead, comps, "node", "component_id").select("digest", "component_id")
     return signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

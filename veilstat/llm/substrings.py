@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a minimiser; words that a task packs at once; bytes of input per bucket; distinct words remembered.
-MER, PACK, BUCKET_BYTES, CACHE_ENTRIES = 4, 2_000_000, 8_000_000, 600_000
+MER, PACK, BUCKET_BYTES, CACHE_ENTRIES = 4, 1_000_000, 3_000_000, 300_000
 _HEAD = struct.Struct("<6I")
+_OCC, _KNOWN = (np.int32, np.int64, np.int64, np.int32), (np.int64, np.int64, np.int32, np.int32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _state: dict = {"words": {}}
 
@@ -75,9 +76,9 @@ def _pack(contents: list[bytes], weights, occ, known) -> bytes:
     import zstandard
 
     body = b"\n".join(contents)
-    arrays = [np.asarray(weights, np.int32), *(np.asarray(x, np.int64) for x in occ), *(np.asarray(x, np.int64) for x in known)]
+    arrays = [np.asarray(weights, np.int32), *(np.asarray(x, t) for x, t in zip(occ, _OCC)), *(np.asarray(x, t) for x, t in zip(known, _KNOWN))]
     raw = _HEAD.pack(len(contents), len(body), len(occ[0]), len(known[0]), 0, 0) + body + b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(blob: bytes):
@@ -94,7 +95,7 @@ def _unpack(blob: bytes):
         at += a.nbytes
         return a
 
-    return contents, take(n, np.int32), [take(n_occ, np.int64) for _ in range(4)], [take(n_known, np.int64) for _ in range(4)]
+    return contents, take(n, np.int32), [take(n_occ, t) for t in _OCC], [take(n_known, t) for t in _KNOWN]
 
 
 def _deal(k: int, buckets: int) -> Callable:
@@ -207,7 +208,7 @@ def _judge(k: int) -> Callable:
             for i in (1, 2, 3):
                 occ[i].append(o[i])
             if len(known[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in known], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in known], names=names)
         if not number:
             return
         word: dict[bytes, int] = {}
@@ -224,7 +225,8 @@ def _judge(k: int) -> Callable:
         first, n = np.cumsum(lens) - lens, lens - k + 1
         of = np.repeat(np.arange(len(lens)), n)
         step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        twice = _repeated(flat, first[of] + step, np.array(weights)[of], k)
+        twice = _repeated(flat, first[of] + step, np.array(weights, np.float64)[of], k)
+        del flat
         # runs of repeated windows, for each content
         i = np.flatnonzero(twice)
         if not len(i):
@@ -239,7 +241,7 @@ def _judge(k: int) -> Callable:
         run = lo[c][place] + np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each)
         for a in range(0, len(place), 100_000):
             p, q = place[a : a + 100_000], run[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(start[p] + run_at[q]), pa.array(run_n[q] + k - 1)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(start[p].astype(np.int64) + run_at[q]), pa.array(run_n[q] + k - 1)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []

@@ -43,21 +43,23 @@ _NARROW = _width(np.arange(1 << 17, dtype=np.uint64))
 def _choices(w: np.ndarray) -> np.ndarray:
     """For each place of each block (a row), the selector that takes most values from there."""
     rows, n = w.shape
-    runs, span = {1: w}, 1
-    while span < 32:  # maxima of 1, 2, 4 ... 32 values from each place; past the end a block counts as empty
-        prev = runs[span]
-        nxt = prev.copy()
-        nxt[:, : n - span] = np.maximum(prev[:, : n - span], prev[:, span:])
-        span *= 2
-        runs[span] = nxt
+    runs = {1: w}
     best = np.zeros((rows, n), np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        top = runs[p].copy()
+        if p not in runs:  # maxima of p values from each place; past the end a block counts as empty
+            prev = runs[p // 2]
+            runs[p] = prev.copy()
+            np.maximum(prev[:, : n - p // 2], prev[:, p // 2 :], out=runs[p][:, : n - p // 2])
+        top = runs[p]
         if c > p and n > c - p:
-            top[:, : n - (c - p)] = np.maximum(top[:, : n - (c - p)], runs[p][:, c - p :])
-        best[top <= BITS[s]] = s
+            top = top.copy()
+            np.maximum(top[:, : n - (c - p)], runs[p][:, c - p :], out=top[:, : n - (c - p)])
+        fits = top <= BITS[s]
+        if not fits.any():  # then no longer run of narrower values fits either
+            break
+        best[fits] = s
     return best
 
 

@@ -24,7 +24,8 @@ CACHE_ENTRIES = 900_000
 #: that follows no white space, and before a full stop or comma that follows a Latin letter or digit. Chunks between
 #: them can be encoded alone. A text in which each of these four characters stands so is cut without the pattern.
 _CUT = re.compile(r"(?<=[^\s])(?=[ \n])|(?<=[a-zA-Z0-9à-öø-ÿ])(?=[.,])")
-_UNCUT = re.compile(r"\s[ \n]|[^a-zA-Z0-9à-öø-ÿ][.,]|\0")
+_UNCUT = re.compile(r"[ \n.,\0](?:(?<=[^a-zA-Z0-9à-öø-ÿ][.,])|(?<=\s[ \n])|(?<=\0))")
+_WORD = re.compile(r" ?[a-zA-Z]+")
 
 
 def chunks(text: str) -> list[str]:
@@ -37,30 +38,29 @@ _state: dict = {}
 SEGMENT_SCHEMA = "part int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-class ChunkEncoder:
-    """Ids of whole texts; each distinct chunk is encoded by the tokenizers library once."""
+class ChunkEncoder(dict):
+    """Ids of whole texts; each distinct chunk is encoded by the tokenizers library once, and its ids' bytes are kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(x) for x in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(p)
-        miss = [x for x in fresh if x not in known]
-        for lo in range(0, len(miss), 20_000):
-            some = miss[lo : lo + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[x] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _WORD.fullmatch(chunk):  # one piece, whose bytes all stand for themselves: straight to the model
+            ids = [t.id for t in self.model.tokenize(chunk.replace(" ", "Ġ"))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        got = self[chunk] = array("I", ids).tobytes()
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return b"".join(map(self.__getitem__, chunks(text)))
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -85,16 +85,14 @@ def _writer(path: str, end_id: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 100):
-                for d, x in zip(names[lo : lo + 100], enc.encode(texts[lo : lo + 100])):
-                    x += end
-                    docs.append(d)
-                    lens.append(len(x) // 4)
-                    ids.append(x)
-                    held += len(x) // 4
-                    if held >= SEGMENT_IDS:
-                        yield flush()
+            for d, text in zip(b.column(0).to_pylist(), b.column(1)):
+                x = enc.encode(text.as_py() or "") + end
+                docs.append(d)
+                lens.append(len(x) // 4)
+                ids.append(x)
+                held += len(x) // 4
+                if held >= SEGMENT_IDS:
+                    yield flush()
         if docs:
             yield flush()
 

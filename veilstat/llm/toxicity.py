@@ -31,7 +31,7 @@ SHRINK, STEMS = 4.0, (3, 4, 5, 6)
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: Which letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SWAP, DROP_SIGN, DROP_DIGIT, DROP_EDGE, FOLD = 0.7, 4.0, 6.0, 0.2, 0.3
+SWAP, DROP_SIGN, DROP_DIGIT, DROP_EDGE, FOLD = 0.7, 5.0, 10.0, 0.2, 0.3
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SIZE = len(LETTERS) + 1
 _TABLE = np.zeros(0x250, np.int32)

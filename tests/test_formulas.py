@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from veilstat.functions import mechanisms as M
 from veilstat.functions.rng import u32
 from veilstat.operators import aggregate, consistency, density, heavy, itemsets, marginals, postprocess, shuffle
-from veilstat.operators.randomize import combine, perturb, split
-from veilstat.plans import hio
+from veilstat.operators.randomize import combine, perturb
+from veilstat.operators.randomize import split as split_codes
+from veilstat.plans import hio, split
 from veilstat.plans.hierarchy import Tree, best_fanout
-from veilstat.plans.query import Category, Ordinal, bind, parse
+from veilstat.plans.query import Category, Ordinal, bind, parse, random_box
 from veilstat.sources import tables
 from veilstat.streaming import reports
 
@@ -185,7 +186,7 @@ def test_heavy_and_itemsets(spark):
 
 
 def test_codes(spark):
-    d = spark.range(24).select("id", *(c.alias(n) for c, n in zip(split("id", [2, 3, 4]), "abc")))
+    d = spark.range(24).select("id", *(c.alias(n) for c, n in zip(split_codes("id", [2, 3, 4]), "abc")))
     assert d.where(combine(["a", "b", "c"], [2, 3, 4]) != F.col("id")).count() == 0
     joint = spark.range(6).select(F.col("id").alias("v"), F.lit(1.0).alias("est"))
     assert marginals.all_marginals(joint, ["a", "b"], [2, 3]).where("a is null and b is null").first()["est"] == 6
@@ -225,3 +226,33 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = reports.calibrated(reports.windowed_counts(d, "id", "v", "ts", m, "6 hours"), m)
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_split_reports(spark):
+    """Any number of attributes per report estimates the same boxes; precomputed cells answer like the reports."""
+    trees = [Tree("x", 8, 2), Tree("y", 3), Tree("z", 2)]
+    users = spark.range(40_000).select(F.col("id").alias("uid"), (F.col("id") % 8).alias("x"), (F.col("id") % 3).alias("y"), (F.col("id") % 5 % 2).alias("z"), F.lit(1).alias("measure"))
+    schema = {"x": Ordinal(0, 7), "y": Category(("a", "b", "c")), "z": Category(("p", "q"))}
+    asked = [bind(q, schema) for q in ("select sum(m) from t where 1<=x<=5", "select sum(m) from t where y=b and z=q", "select sum(m) from t where 0<=x<=3 and y=a and z=p")]
+    truth = {r.query: r["count"] for r in hio.exact(users, asked).collect()}
+    for size in (1, 2, 3):
+        for style in ("rl", "bl"):
+            plan = split.groups(trees, 12.0, size, style)
+            got = split.estimate(split.reports(users, "uid", trees, plan), asked, trees, plan, style)
+            for r in got.collect():
+                assert r.est == pytest.approx(truth[r.query], abs=2500), (size, style)
+    assert split.partings(3, 2) == [((0, 1), (2,)), ((0, 2), (1,)), ((0,), (1, 2))]
+    plan = hio.groups(trees, 2.0)
+    sent = hio.reports(users, "uid", trees, plan)
+    a = {r.query: r.est for r in hio.estimate(sent, asked, trees, plan).collect()}
+    b = {r.query: r.est for r in hio.lookup(hio.estimate_all(sent, plan), asked, trees, plan).collect()}
+    assert a == pytest.approx(b)
+
+
+def test_small_parts(spark):
+    assert random_box({"x": 100, "y": 100}, 0.25, "s")["x"][1] - random_box({"x": 100, "y": 100}, 0.25, "s")["x"][0] == 50
+    assert list(random_box({"x": 100, "y": 100}, 0.25, "s", fixed="y")) == ["y"]
+    d = spark.createDataFrame([(0, 5), (1, 1), (2, 3)], "measure long, n long")
+    assert [r.weight for r in tables.averaged_weights(d, 2).orderBy("measure").collect()] == [round(1 / 6, 6)] * 2 + [2.0]
+    assert d.select(tables.nonzero_weight("measure", 5)).first()[0] == 5
+    assert tables.uniform_users(spark, 100, 4).agg(F.max("v")).first()[0] < 4

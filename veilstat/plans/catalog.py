@@ -14,7 +14,7 @@ from veilstat.operators.randomize import perturb, square_wave
 from veilstat.sources import tables as S
 from veilstat.streaming import reports as stream
 
-from . import hio
+from . import hio, split
 from .hierarchy import Tree, best_fanout, node_table
 from .query import Category, Ordinal, bind
 
@@ -187,13 +187,30 @@ def exact_box(spark, sf):
 
 
 def weight_bins(spark, sf):
-    """Weights of the measure averaged over near-equal runs of its values, by number of records."""
-    from pyspark.sql.window import Window
+    return S.averaged_weights(items(spark, sf).groupBy("measure").agg(F.count("*").alias("n")), 3)
 
-    d = items(spark, sf).groupBy("measure").agg(F.count("*").alias("n"))
-    d = d.withColumn("bin", F.ntile(3).over(Window.orderBy("measure")))  # one row per measure value
-    w = F.sum(F.col("measure") * F.col("n")).over(Window.partitionBy("bin")) / F.sum("n").over(Window.partitionBy("bin"))
-    return d.select("measure", "bin", A.tidy(w).alias("weight"))
+
+def hio_lookup(spark, sf):
+    """The answers from precomputed cells; the same as asking the reports."""
+    trees = [DISC, FLAG, STATUS]
+    plan = hio.groups(trees, EPS)
+    sent = hio.reports(items(spark, sf), "uid", trees, plan)
+    got = hio.lookup(hio.estimate_all(sent, plan), _queries(trees), trees, plan)
+    return got.groupBy("query").agg(A.tidy(F.sum(F.col("measure") * F.col("est"))).alias("sum"))
+
+
+def hio_split(spark, sf):
+    """Three attributes in reports of at most two."""
+    trees = [DISC, FLAG, STATUS]
+    plan = split.groups(trees, 2.0, 2)
+    sent = split.reports(items(spark, sf), "uid", trees, plan)
+    got = split.estimate(sent, _queries(trees), trees, plan)
+    return got.groupBy("query").agg(A.tidy(F.sum(F.col("measure") * F.col("est")), 2).alias("sum"))
+
+
+def olh_uniform(spark, sf):
+    m = M.olh(2.0, 1024)
+    return A.histogram(perturb(S.uniform_users(spark, 10_000, 1024), "uid", "v", m), m)
 
 
 def values(spark, sf):
@@ -332,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lh_histogram": base,
     "olh_histogram": _histogram(M.olh(EPS, 100), orders),
     "lh_half_histogram": _histogram(M.lh_half(2.0, 100), orders),
+    "olh_uniform": olh_uniform,
     "ue_histogram": _histogram(M.ue(EPS, 5), lambda s, d: labelled(s, d, "orders", "o_orderkey", "o_orderpriority")),
     "adaptive_histogram": _histogram(M.adaptive(EPS, 25), lambda s, d: labelled(s, d, "part", "p_partkey", "p_brand")),
     "fo_variance_filter": noise_filter,
@@ -360,6 +378,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hio_all_layers": _hio([FLAG, STATUS], "al", 4.0),
     "hio_bottom": _hio([FLAG, STATUS], "bl"),
     "hio_sr_joint": hio_joint,
+    "hio_lookup": hio_lookup,
+    "hio_split": hio_split,
     "ce_marginals": ce_marginals,
     "mg_view_sum": mg_view_sum,
     "mg_answer": mg_answer,

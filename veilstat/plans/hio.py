@@ -120,6 +120,29 @@ def estimate(sent: DataFrame, queries: list[Query], trees: list[Tree], plan: lis
     return got.groupBy("query", "measure").agg(F.sum("est").alias("est"))
 
 
+def estimate_all(sent: DataFrame, plan: list[Group], style: str = "rl") -> DataFrame:
+    """measure, gid, code, est of every cell of every group: the tables that any later query can be answered from."""
+    spark = sent.sparkSession
+    rows = [(g.gid, int(g.mechanism.hashes), g.mechanism.size, g.mechanism.p, g.mechanism.q, prod(g.sizes)) for g in plan]
+    params = spark.createDataFrame(rows, "gid long, lh int, size long, p double, q double, cells long")
+    d = sent.join(F.broadcast(params), "gid")
+    every = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    seen = F.when(F.col("lh") == 1, F.filter(every, lambda v: hashed("a", "b", v, F.col("size")) == F.col("y"))).otherwise(F.array("y"))
+    counts = d.select("measure", "gid", F.explode(seen).alias("code")).groupBy("measure", "gid", "code").agg(F.count("*").alias("c"))
+    per = sent.groupBy("measure", "gid").agg(F.count("*").alias("ng"))
+    total = F.max("ng") if style == "al" else F.sum("ng")
+    full = per.join(per.groupBy("measure").agg(total.alias("n")), "measure").join(F.broadcast(params), "gid").withColumn("code", F.explode(every))
+    got = full.join(counts, ["measure", "gid", "code"], "left")
+    est = (F.coalesce("c", F.lit(0)) - F.col("ng") * F.col("q")) / (F.col("p") - F.col("q")) * F.col("n") / F.col("ng")
+    return got.select("measure", "gid", "code", est.alias("est"))
+
+
+def lookup(table: DataFrame, queries: list[Query], trees: list[Tree], plan: list[Group], style: str = "rl") -> DataFrame:
+    """query, measure, est from the cells of estimate_all(); a query for all users needs none and is left out."""
+    asked = table.sparkSession.createDataFrame([x for x in nodes(queries, trees, plan, style) if x[1] >= 0], "query int, gid long, code long")
+    return table.join(F.broadcast(asked), ["gid", "code"]).groupBy("query", "measure").agg(F.sum("est").alias("est"))
+
+
 def answers(users: DataFrame, uid: str, queries: list[Query], trees: list[Tree], eps: float, style: str = "rl", weight: Column | None = None, salt: str = "h") -> DataFrame:
     """query, count, sum, avg: estimates of COUNT, SUM of the weighted measure, and SUM / COUNT."""
     plan = groups(trees, eps, style)

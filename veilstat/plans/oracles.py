@@ -359,4 +359,14 @@ ORACLES = {
     "phase_counts": f"SELECT {phase('o_orderkey')} AS phase, count(*) AS n FROM orders GROUP BY 1",
     "estimate_error": f"WITH t AS (SELECT v, count(*) AS c FROM ({ORDERS}) GROUP BY 1) SELECT {rnd('avg((coalesce(est, 0e0) - coalesce(c, 0)) ** 2)', 3)} AS mse, {rnd('avg(abs(coalesce(est, 0e0) - coalesce(c, 0)))')} AS mae FROM ({BASE}) b FULL JOIN t USING (v)",
     "windowed_histogram": WINDOWED,
+    "olh_uniform": hist(f"SELECT i AS uid, {u('i', 'uniform')} % 1024 AS v FROM range(10000) r(i)", M.olh(2.0, 1024)),
+    "hio_lookup": f"SELECT query, sum FROM ({hio_sql([C.DISC, C.FLAG, C.STATUS], 'rl')})",
+    "query_error": f"""WITH e AS ({hio_sql([C.FLAG, C.STATUS], 'rl')}), t AS (SELECT 0 AS query, count(*) AS t FROM ({ITEMS}) WHERE flag = 0 AND status = 0)
+SELECT query, {rnd('(count - t) ** 2', 3)} AS squared, {rnd('abs(count - t) / 60000e0')} AS of_total, {rnd('CASE WHEN t > 0 THEN abs(count - t) / t ELSE 0e0 END')} AS relative FROM e JOIN t USING (query)""",
+    "murs_choice": f"""WITH x AS (SELECT 0.5e0 AS ec, 1e6 AS n, 1e3 AS d, 0e0 AS r), t AS (SELECT *, (n - 1) / ({_L} / (ec * ec) - r / d) - (d - 1) AS a, ec * ec * (n - 1 + r) / (4 * {_L}) - 1 AS b FROM x),
+m AS (SELECT 'grr' AS mechanism, greatest(CASE WHEN a > 1 THEN ln(a) ELSE -1e0 END, ec) AS e0, CASE WHEN a > 1 THEN ln(a) > 0 ELSE false END AS gain, d AS size, n, r, 1e3 AS full_d FROM t
+  UNION ALL SELECT 'olh', greatest(CASE WHEN b > 1 THEN 2 * ln(b) ELSE -1e0 END, ec), coalesce(b > 1, false), NULL, n, r, 1e3 FROM t),
+s AS (SELECT mechanism, e0, gain, n, r, coalesce(size, round_even(exp(e0 / 2) + 1, 0)) AS d, full_d FROM m),
+p AS (SELECT *, exp(e0) / (exp(e0) + d - 1) AS p, CASE WHEN d = full_d THEN 1 / (exp(e0) + d - 1) ELSE 1 / d END AS q FROM s), z AS (SELECT *, q + (p - q) / d AS p2 FROM p)
+SELECT mechanism, d AS size, {rnd('e0')} AS e0, {rnd(f'({_VAR}) * 1e9', 4)} AS var FROM z ORDER BY gain DESC, {_VAR}, mechanism LIMIT 1""",
 }

@@ -86,3 +86,20 @@ def read_queries(path: str) -> list[str]:
     """The queries of a text file, one per line."""
     with open(path) as f:
         return [x.strip() for x in f if x.strip()]
+
+
+def random_box(sizes: dict[str, int], volume: float, seed: str, fixed: str | None = None) -> dict[str, tuple[int, int]]:
+    """A box over ordinal attributes that covers about `volume` of their joint domain, at a place drawn from the seed.
+
+    Each side is the same root of the volume; with `fixed`, that attribute alone is cut to the whole volume.
+    """
+    import hashlib
+
+    out = {}
+    names = [fixed] if fixed else list(sizes)
+    share = volume if fixed else volume ** (1 / len(sizes))
+    for name in names:
+        length = max(1, int(sizes[name] * share))
+        at = int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:8], 16) % (sizes[name] - length + 1)
+        out[name] = (at, at + length)
+    return out

@@ -108,3 +108,32 @@ def phased(df: DataFrame, key: str, shares: list[float], salt: str = "phase") ->
     for i in range(len(bounds) - 1, -1, -1):
         out = F.when(u < bounds[i], i).otherwise(out)
     return df.withColumn("phase", out)
+
+
+def uniform_users(spark: SparkSession, n: int, d: int, salt: str = "uniform") -> DataFrame:
+    """uid, v: n users with uniform codes in [0, d)."""
+    return spark.range(n).select(F.col("id").alias("uid"), (u32("id", salt) % d).alias("v"))
+
+
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines of a TCP source as a stream: uid, v separated by a comma."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    part = F.split("value", ",")
+    return lines.select(part[0].alias("uid"), part[1].cast("long").alias("v"), F.current_timestamp().alias("ts"))
+
+
+def averaged_weights(counts: DataFrame, bins: int) -> DataFrame:
+    """measure, bin, weight: the measure's values in near-equal runs, each with the mean over its records.
+
+    counts(measure, n) has one row per value of the measure, which is what the windows run over.
+    """
+    d = counts.withColumn("bin", F.ntile(bins).over(Window.orderBy("measure")))
+    own = Window.partitionBy("bin")
+    mean = F.sum(F.col("measure") * F.col("n")).over(own) / F.sum("n").over(own)
+    return d.select("measure", "bin", F.coalesce(F.round(mean, 6), F.lit(0.0)).alias("weight"))
+
+
+def nonzero_weight(measure: Column | str, instead: float) -> Column:
+    """A weight with a stand-in for zero."""
+    c = F.col(measure) if isinstance(measure, str) else measure
+    return F.when(c == 0, F.lit(float(instead))).otherwise(c)

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-ORACLES = {"op2_pivot_topk": vectors.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL}
+ORACLES = {"op2_pivot_topk": vectors.OP2_SQL, "op3_minhash_neardup": neardup.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op7_substring_dedup": substrings.OP7_SQL}

@@ -313,3 +313,13 @@ def dedup(docs: DataFrame, window: int = 50, buckets: int | None = None) -> Data
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 35 words over all documents."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35)
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+d AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM x JOIN d USING (g)),
+k AS (SELECT doc_id, count(*) AS kept, string_agg(t, ' ' ORDER BY j) AS text FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS j FROM w) ANTI JOIN c USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

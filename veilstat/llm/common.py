@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a one-row-per-key table may be broadcast; above it, joins shuffle.
 BROADCAST_ROWS = 50_000
+#: Links for which components() takes another task.
+LINKS_PER_TASK = 20_000
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -40,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", options: dict | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and returns the table: short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veil-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
@@ -118,8 +120,18 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
     Alternating large-star and small-star steps; every step is a map-side combined minimum and one join, and each
     round is cut by a written table. Nodes without links don't occur. Null ends are dropped.
     """
+    spark = links.sparkSession
+    width = spark.conf.get("spark.sql.shuffle.partitions")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges, state = materialize(edges, tag), None
+    try:  # rounds over few links need few tasks
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(int(width), -(-edges.count() // LINKS_PER_TASK)))))
+        return _rounds(edges, state, tag)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def _rounds(edges: DataFrame, state, tag: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

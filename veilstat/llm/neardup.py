@@ -96,6 +96,7 @@ def _sign(k: int, n: int) -> Callable:
                 digest.append(hashlib.md5(s.tobytes()).digest())
                 sig.append(signature(s, a, b_).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+        _state["words"].clear()  # the worker lives on under other operators
 
     return run
 
@@ -147,6 +148,7 @@ def _confirm(k: int, percent: int) -> Callable:
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 out.append(bool(both and 100 * both >= percent * (len(s) + len(t) - both)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+        _state["words"].clear()
 
     return run
 

@@ -205,6 +205,9 @@ def _digests(path: str) -> Callable:
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        # the worker lives on under other operators of the session: its memory is theirs too
+        c.known_ids.clear()
+        c.known_text.clear()
 
     return run
 

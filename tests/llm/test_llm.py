@@ -125,6 +125,28 @@ def test_lines(spark, docs, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_small_edits_link(spark):
+    """A letter, a word or two changed, a word added: linked at each length wherever the edit similarity is 0.8 or more."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("ba", "ten", "lor", "mi", "kus", "de", "fan")) for _ in range(rng.randint(1, 4)))
+    texts = []
+    for n in (2, 3, 5, 8, 12, 20, 40):
+        for change in ("letter", "word", "two", "more"):
+            for _ in range(5):
+                a = [word() for _ in range(n)]
+                b = list(a)
+                for i in rng.sample(range(n), {"more": 0, "two": 2}.get(change, 1)):
+                    b[i] = b[i][:-1] + "z" if change == "letter" else word()
+                b[0:0] = [word()] * (change == "more")
+                x, y = " ".join(a), " ".join(b)
+                if edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9):
+                    texts.append(f"{x}\n{y}")
+    assert len(texts) > 90
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(df, sketch="words").collect()}
+    assert all(1 in got[i] for i in range(len(texts)))
+
+
 def test_op1_is_whole(spark, docs):
     assert catalog.QUERIES["op1_line_dedup"](spark, SF).count() == docs.count()
 

@@ -458,6 +458,16 @@ def test_restoring(spark):
     assert r.spaced("the i d i o t is") == ["idiot"] and r.spaced("no such run here") == []
 
 
+def test_heavy_disguise(spark):
+    """Long tokens, tokens of few letters or none, doubled letters; numbers stay numbers; long tokens take linear time."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    r = toxicity.Restorer(toxicity.trigrams(d.select("text")))
+    for disguised, word in (("st" + "u" * 41 + "pid", "stupid"), ("you're-a-total-1d10t-and-you-know-that-very-well", "idiot"), ("1053r", "loser"), ("10$3r", "loser"), ("1d107", "idiot"), ("iiddiioott", "idiot"), ("stuupid", "stupid")):
+        assert word in r.token(disguised)
+    assert r.token("10$3") and r.token("2024") == r.token("$100") == r.token("12:30") == []
+    assert r.token("committee")[0] == "committee" and len(r.token("m0r0n" * 40_000)) == 1
+
+
 def test_labels(spark, odd):
     """Held-out labels are never learnt from; without labels a score is still a share; rows and columns stay."""
     none = spark.createDataFrame([], "doc_id long, toxic int")

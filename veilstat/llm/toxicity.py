@@ -42,6 +42,11 @@ _RUN = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(rf"[{LETTERS}]+|[^\W\d_{LETTERS}]+")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£]")
+_DOUBLED = re.compile(r"([^\W\d_])\1+")
+#: Where tokens are cut before decoding; what may stand for a letter; what is a number, and stays one.
+_JOINS = re.compile(r"[-/.,;:'’_=]")
+_SPELT = re.compile("[^\\W_]|[" + re.escape("".join(LEET)) + "]")
+_NUMBER = re.compile(r"[$€£+(]*\d+[%+!€£$]*")
 _APART = re.compile(r"[^\W_]{1,2}(?:[._*-][^\W_]{1,2}){3,}")
 _EDGE = " \t.,;:?\"'`#%&*)[]{}<>/\\~^=_-…«»“”„’‘"
 
@@ -93,7 +98,7 @@ def _options(run: str, edge: bool, spaced: bool) -> list[tuple[str, float]]:
 def decode(token: str, cost: np.ndarray, spaced: bool = False) -> str:
     """The likeliest letters behind a lower-case token: Viterbi over pairs of symbols."""
     runs = [m[0] for m in _RUN.finditer(token)]
-    states = {(0, 0): (0.0, "")}
+    states: dict = {(0, 0): (0.0, None)}  # the text is a chain of pieces, so that long tokens take linear time
     for i, run in enumerate(runs):
         nxt: dict = {}
         for out, extra in _options(run, i == len(runs) - 1, spaced):
@@ -104,9 +109,13 @@ def decode(token: str, cost: np.ndarray, spaced: bool = False) -> str:
                     c += float(cost[a, b, s])
                     a, b = b, s
                 if (a, b) not in nxt or nxt[a, b][0] > c:
-                    nxt[a, b] = (c, text + out)
+                    nxt[a, b] = (c, (text, out) if out else text)
         states = nxt
-    return min((c + float(cost[a, b, 0]), text) for (a, b), (c, text) in states.items())[1]
+    text, pieces = min(((c + float(cost[a, b, 0]), text) for (a, b), (c, text) in states.items()), key=lambda x: x[0])[1], []
+    while text:
+        text, out = text
+        pieces.append(out)
+    return "".join(reversed(pieces))
 
 
 class Restorer:
@@ -116,15 +125,26 @@ class Restorer:
         self.cost = cost
 
     def token(self, token: str) -> list[str]:
-        t = token.strip(_EDGE)
+        """The words of a token, and those with doubled letters once more with single ones."""
+        words = self._words(token.strip(_EDGE))
+        return words + [x for w in words if (x := _DOUBLED.sub(r"\1", w)) != w]
+
+    def _words(self, t: str) -> list[str]:
         if _PLAIN.fullmatch(t) and not _ODD.search(t):
             return [t]
-        letters = sum(c.isalpha() for c in t)
         if _APART.fullmatch(t):
             return decode(t, self.cost, True).split()
-        if letters and len(t) <= 40 and 3 * letters >= len(t) - sum(len(m[0]) for m in _RUN.finditer(t) if len(m[0]) > 1 and not m[0][0].isalpha()) and _ODD.search(t):
-            return [w for x in re.split(r"[-/.,;:'’_=]", t) if x for w in (_WORDS.findall(decode(x, self.cost)) if _ODD.search(x) else _WORDS.findall(x))]
-        return _WORDS.findall(t)
+        if not _ODD.search(t):
+            return _WORDS.findall(t)
+        out = []
+        for x in _JOINS.split(t):
+            if not _ODD.search(x):
+                out += _WORDS.findall(x)
+            elif _NUMBER.fullmatch(x) or not _SPELT.search(x):
+                out += _WORDS.findall(x)
+            else:
+                out += _WORDS.findall(decode(x, self.cost))
+        return out
 
     def spaced(self, text: str) -> list[str]:
         """Words out of letters that stand apart."""

@@ -458,6 +458,14 @@ def test_restoring(spark):
     assert r.spaced("the i d i o t is") == ["idiot"] and r.spaced("no such run here") == []
 
 
+def test_letters_apart(spark):
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    r = toxicity.Restorer(toxicity.trigrams(d.select("text")))
+    for text in ("i d i o t.", "i d i o t,", "(i d i o t)", '"i d i o t"', "i  d  i  o  t", "i. d. i. o. t", "i\td\ti\to\tt", "you i d i o t!", "an i-d-i-o-t too", "1 d 1 0 t"):
+        assert r.spaced(text) == ["idiot"], text
+    assert r.spaced("s t u p i d!") == ["stupid"] and r.spaced("b a d") == ["bad"] and r.spaced("a b c3po") == r.spaced("a b") == []
+
+
 def test_heavy_disguise(spark):
     """Long tokens, tokens of few letters or none, doubled letters; numbers stay numbers; long tokens take linear time."""
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")

@@ -37,7 +37,8 @@ _SIZE = len(LETTERS) + 1
 _TABLE = np.zeros(0x250, np.int32)
 for _c, _i in _SYMBOL.items():
     _TABLE[ord(_c)] = _i
-_SPACED = re.compile(r"(?<!\S)(?:[^\s][ ._*-]){3,}[^\s](?!\S)")
+#: Three or more single letters with one to four blanks or signs between; a sign for a letter may be the first or last.
+_SPACED = re.compile(r"(?:(?<![^\W_])|(?<!\S)[@$!|+(€£][\s._*-]{1,2})[^\W_](?:[\W_]{1,4}[^\W_](?![^\W_])){2,}(?:[\s._*-]{1,2}[@$!|+(€£](?!\S))?")
 _RUN = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(rf"[{LETTERS}]+|[^\W\d_{LETTERS}]+")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
@@ -88,7 +89,7 @@ def _options(run: str, edge: bool, spaced: bool) -> list[tuple[str, float]]:
     c, n = run[0], len(run)
     if c in _SYMBOL:
         return [(run, 0.0)] if n < 3 else [(c, FOLD), (c * 2, 2 * FOLD)]
-    if spaced and c in " ._*-":
+    if spaced and not c.isalnum() and c not in LEET:
         return [("", 0.0), (" ", 1.0)]
     out = [(x * m, SWAP * m) for x in LEET.get(c, "") for m in ((1,) if n == 1 else (1, 2))]
     drop = DROP_DIGIT if c.isdigit() else DROP_EDGE if edge or n > 1 else DROP_SIGN

@@ -345,6 +345,24 @@ def test_secrets(spark, docs, odd):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_glued_secrets(spark):
+    """Keys after a name, in a path or behind hyphens are found, with their own spans."""
+    rng = random.Random(7)
+    make = {"b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "HEX": "0123456789ABCDEF", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    before = ("AWS_SECRET_ACCESS_KEY=", "client_key=", "signing-key=", "see https://host.example/download/files/", "credentials/backup-key-")
+    out = []
+    for prefix in before:
+        for alphabet in make.values():
+            out += [(len(out) + i, prefix + "".join(rng.choice(alphabet) for _ in range(40)), len(prefix)) for i in range(10)]
+    out += [(1000 + i, "/".join(rng.choice(("static", "pictures", "internationalisation", "index")) for _ in range(6)), None) for i in range(60)]
+    df = spark.createDataFrame(out, "doc_id long, text string, at int")
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(df).collect()}
+    hit = Counter(x[1][: x[2]] for x in out if x[2] is not None and any(s.startswith("random") and int(s.split(":")[1]) <= x[2] and int(s.split(":")[2]) == len(x[1]) for s in got[x[0]]))
+    assert all(hit[p] >= 26 for p in before), hit
+    assert sum(f"random:{x[2]}:{len(x[1])}" in got[x[0]] for x in out if x[2] is not None) >= 100
+    assert sum(got[i] != [""] for i in range(1000, 1060)) <= 6
+
+
 def test_battery(spark):
     rng = random.Random(1)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -4,7 +4,9 @@ Tokens of 20 or more characters get an encoding by their characters (decimal, he
 the hypothesis that their symbols are independent and uniform: chi-squared over equal parts of the alphabet (as many as
 the length allows), the number of runs above and below the middle, and the correlation of neighbours. Within each
 encoding and band of lengths, the tokens that are not random are told apart at a false-discovery rate of RATE; tokens
-that are not rejected are reported as spans of kind random.
+that are not rejected are reported as spans of kind random. A token ends at "=" unless only padding follows. Its parts
+between slashes, and between slashes, hyphens and underscores, are tested like tokens, each in its own encoding; those
+inside a longer span of the same token that is reported are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ PATTERNS = {
     "hex": (r"(?<![0-9a-f])[0-9a-f]+", 0, 24),
 }
 KINDS = [*PATTERNS, "random"]
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Where tokens are parted; least length of a token and of a part.
+SEPARATORS, LEAST = ("/", "[/_-]"), 20
 #: Discoveries that may be false; parts into which -ln p is cut for the distributed step-up rule, and their number.
 RATE, PARTS, CELLS = 0.05, 20, 1200
 _SPAN = "array<struct<s:bigint,k:int,e:bigint,t:string>>"
@@ -43,6 +47,17 @@ def _spans(text: str, pattern: str, kind: int, group: int, least: int, keep: boo
         a -> a.out) ELSE cast(array() AS {_SPAN}) END""")
 
 
+def _parts(x: str) -> Column:
+    """s, e, token of a token x (a span with its text) and of its parts of the least length."""
+    kind = "array<struct<s:bigint,e:bigint,token:string>>"
+    of = [
+        f"""aggregate(split({x}.t, '{p}', -1), named_struct('at', {x}.s, 'out', cast(array() AS {kind})), (a, w) -> named_struct('at', a.at + length(w) + 1,
+        'out', CASE WHEN length(w) >= {LEAST} THEN concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(w), 'token', w))) ELSE a.out END), a -> a.out)"""
+        for p in SEPARATORS
+    ]
+    return F.expr(f"array_distinct(concat(array(named_struct('s', {x}.s, 'e', {x}.e, 'token', {x}.t)), {', '.join(of)}))")
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -109,9 +124,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("doc_id", "text"))
-    found = rows.where(F.col("text").rlike(TOKEN)).select("doc_id", "th", F.explode(_spans("text", TOKEN, 3, 0, 20, True)).alias("x"))
-    tokens = common.materialize(tested(found.select("doc_id", "th", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.t").alias("token"))).drop("token"), "tokens")
-    extra = random_tokens(tokens).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", F.lit(3).alias("k"), "e", F.lit(None).cast("string").alias("t"))).alias("extra"))
+    found = rows.where(F.col("text").rlike(TOKEN)).select("doc_id", "th", F.explode(_spans("text", TOKEN, 3, 0, LEAST, True)).alias("x"))
+    parts = found.select("doc_id", "th", F.col("x.s").alias("whole"), F.explode(_parts("x")).alias("p")).select("doc_id", "th", "whole", "p.*")
+    tokens = common.materialize(tested(parts).drop("token"), "tokens")
+    own = random_tokens(tokens).groupBy("doc_id", "th", "whole").agg(F.collect_set(F.struct("s", F.lit(3).alias("k"), "e", F.lit(None).cast("string").alias("t"))).alias("own"))
+    longest = F.filter("own", lambda x: ~F.exists("own", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    extra = own.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(longest)).alias("extra"))
     extra = extra.select(F.col("doc_id").alias("xd"), F.col("th").alias("xt"), "extra")
     base = [_spans("text", _FAST.get(kind, p), i, group, least).alias(kind) for i, (kind, (p, group, least)) in enumerate(PATTERNS.items())]
     got = rows.select("doc_id", "th", *base)

@@ -64,35 +64,42 @@ def test_sql(spark, duck, name):
 # 1 line dedup
 
 
-def simhash(norm):
-    words = norm.split(" ")
-    for n in lines.SHORT:
-        if sum(len(w) > n for w in norm.split(" ")) >= lines.ENOUGH:
-            words = [w for w in norm.split(" ") if len(w) > n]
-    h = [xxhash.xxh64_intdigest(w, seed=42) for w in words]
-    return sum(1 << i for i in range(63) if 2 * sum(x >> i & 1 for x in h) > len(h))
+def edits(a, b):
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    step = np.arange(len(y) + 1)
+    p = step.copy()
+    for i, c in enumerate(x, 1):
+        q = np.empty_like(p)
+        q[0] = i
+        q[1:] = np.minimum(p[1:] + 1, p[:-1] + (y != c))
+        p = np.minimum.accumulate(q - step) + step
+    return int(p[-1])
 
 
-def edits(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        q = [i]
-        for j, y in enumerate(b, 1):
-            q.append(min(q[-1] + 1, p[j] + 1, p[j - 1] + (x != y)))
-        p = q
-    return p[-1]
+def grams(x):
+    return Counter(x[i : i + 3] for i in range(len(x) - 2))
+
+
+def similar(a, b, ga, gb):
+    """Whether the edit similarity is 0.8 or more; each edit changes three trigrams at most."""
+    longer = max(len(a), len(b))
+    most = math.floor(longer * 0.2 + 1e-9)
+    if abs(len(a) - len(b)) > most or (ga & gb).total() < longer - 2 - 3 * most:
+        return False
+    return edits(a, b) <= most
 
 
 def brute_lines(df):
+    """Removed lines by the edit similarity alone, all pairs compared."""
     texts = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in pairs(df) if r[1] is not None}, key=lambda x: x[:2])
     occ = defaultdict(list)
     for known, d, t in texts:
         for i, x in enumerate(t.split("\n")):
-            n = re.sub("[\x00-\x60\x7b-\x7f]+", " ", x.lower()).strip(" ")
-            if n:
+            n = re.sub("[\x00-\x60\x7b-\x7f]+", " ", x.lower()).strip(" ") or "\0" + x.strip(" ")
+            if n != "\0":
                 occ[n].append(((known, d), i))
     keys = list(occ)
-    sims, up = [simhash(k) for k in keys], list(range(len(keys)))
+    tri, up = [grams(k) for k in keys], list(range(len(keys)))
 
     def find(x):
         while up[x] != x:
@@ -101,8 +108,7 @@ def brute_lines(df):
 
     for i in range(len(keys)):
         for j in range(i):
-            a, b = keys[i], keys[j]
-            if (sims[i] ^ sims[j]).bit_count() <= 3 and find(i) != find(j) and edits(a, b) <= math.floor(max(len(a), len(b)) * 0.2 + 1e-9):
+            if keys[i][0] != "\0" != keys[j][0] and find(i) != find(j) and similar(keys[i], keys[j], tri[i], tri[j]):
                 up[find(i)] = find(j)
     groups = defaultdict(list)
     for i, k in enumerate(keys):
@@ -115,16 +121,45 @@ def brute_lines(df):
 
 
 def test_lines(spark, docs, odd):
-    near = spark.createDataFrame([(1, "alphabetical betterment gammaray deltawing epsilon zetafunction etahat thetabeta iotalike kappalike\nx\nq"), (2, "Alphabetical, betterment: gammaray deltawing epsilon zetafunction etahat thetabeta iotalike kappalike!\nX.\n-"), (3, "q\n\n")], "doc_id long, text string")
-    for df in (docs, odd.where("doc_id is null or doc_id <> 10"), near, near.limit(0)):
+    near = spark.createDataFrame([(1, "alphabetical betterment gammaray deltawing epsilon zetafunction etahat thetabeta iotalike kappalike\nx\nq\n-- 12 --"), (2, "Alphabetical, betterment: gammaray deltawing epsilon zetafunction etahat thetabeta iotalike kappalike!\nX.\n- "), (3, "q\n\n-- 12 --\n-- 13 --\n-")], "doc_id long, text string")
+    for df in (docs, odd, near, near.limit(0)):
         got = {((True, r["doc_id"]) if r["doc_id"] is not None else None): r["removed"] for r in lines.removed_lines(df).collect()}
         assert got == brute_lines(df)
     kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(near).collect()}
-    assert kept == {1: near.where("doc_id = 1").first()["text"], 2: "-", 3: "\n"}
+    assert kept == {1: near.where("doc_id = 1").first()["text"], 2: "- ", 3: "\n-- 13 --"}
     out = lines.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_very_long_lines(spark):
+    """Lines of millions of words, equal, nearly equal, without blanks, in letters of three bytes."""
+    long_, other = "a " * 2_600_000, "b " * 2_600_000
+    wide = "".join(random.Random(2).choice("日本語文字列試験") for _ in range(9000))
+    df = spark.createDataFrame([(1, long_ + "x"), (2, long_), (3, other), (4, "y" * 300_000), (5, "y" * 300_001), (6, wide), (7, wide[:4000] + "木" + wide[4000:])], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in lines.removed_lines(df).collect()} == {2: [0], 5: [0], 7: [0]}
+
+
+def test_crowded_buckets(spark):
+    """Many lines that share their longest words without being similar: links inside such buckets are found too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
+    first = "acknowledgements internationalisation"
+    texts = [f"{first} {' '.join(word() for _ in range(30))}" for _ in range(400)]
+    texts += [" ".join(w if i % 9 else w[:-1] for i, w in enumerate(t.split(" "))) for t in texts[:100]]
+    got = lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in got} & set(range(400, 500))) >= 97 and all(r["doc_id"] >= 400 for r in got)
+
+
+def test_simhashes(spark):
+    texts = [" ".join(f"w{i}{'x' * (i % 5)}" for i in range(a, a + 40)) for a in range(5)]
+    got = {r["h"]: r["sh"] for r in lines._simhashes(spark.createDataFrame([*enumerate(texts), (9, "few words")], "h long, norm string")).collect()}
+    assert set(got) == set(range(5))
+    for i, t in enumerate(texts):
+        w = t.split(" ")
+        one = [2 * sum(len(x) for x in w if xxhash.xxh64_intdigest(x, seed=42) >> b & 1) > sum(map(len, w)) for b in range(62)]
+        assert got[i] == sum(1 << b for b in range(62) if one[b])
+
+
 def test_small_edits_link(spark):
     """A letter, a word or two changed, a word added: linked at each length wherever the edit similarity is 0.8 or more."""
     rng = random.Random(4)
@@ -143,7 +178,7 @@ def test_small_edits_link(spark):
                     texts.append(f"{x}\n{y}")
     assert len(texts) > 90
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(df, sketch="words").collect()}
+    got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(df).collect()}
     assert all(1 in got[i] for i in range(len(texts)))
 
 

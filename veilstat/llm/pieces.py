@@ -116,9 +116,21 @@ class PieceCodec:
         at: list[list[int]] = [[] for _ in range(n)]
         for end, i in self.matches(text):
             at[end + 1 - length[i]].append(i)
-        if [] in at:  # characters outside the vocabulary become bytes, and nothing merges with them
-            k = at.index([])
-            return [*(self.chunk(text[:k]) if k else []), *[x for j in range(k, self._gap(at, k)) for x in map(self.bytes.__getitem__, text[j].encode())], *(self.chunk(text[self._gap(at, k) :]) if self._gap(at, k) < n else [])]
+        if [] not in at:
+            return self._walk(text, at)
+        out: list[int] = []
+        k = 0
+        while k < n:  # characters outside the vocabulary become bytes, and nothing merges with them
+            j, known = k, bool(at[k])
+            while j < n and bool(at[j]) == known:
+                j += 1
+            out.extend(self._walk(text[k:j], at[k:j]) if known else map(self.bytes.__getitem__, text[k:j].encode()))
+            k = j
+        return out
+
+    def _walk(self, text: str, at: list[list[int]]) -> list[int]:
+        """Ids of a stretch; at holds the pieces that match at each place, shortest first."""
+        n, length = len(text), self.length
         dead = bytearray(n + 1)
         out: list[int] = []
         kept: list[int] = []
@@ -143,12 +155,6 @@ class PieceCodec:
                 pos, k = pos - length[t], kept.pop() - 1
         return out
 
-    @staticmethod
-    def _gap(at: list[list[int]], k: int) -> int:
-        while k < len(at) and not at[k]:
-            k += 1
-        return k
-
     def text_of(self, ids: list[int]) -> str:
         """What ids decode to, with spaces, before the dummy prefix goes; bytes that are no UTF-8 become U+FFFD."""
         out, held = [], bytearray()

@@ -45,17 +45,17 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     budget lasts, and of the last epoch the documents up to the word at which the budget is spent. The global sort
     deals hash-random keys by ranges, so a source with most of the rows still spreads over many tasks. Null and blank
     texts have size 0 and nothing taken; null sources are a source of their own; rows with one key stand next to
-    each other and are counted one by one.
+    each other, by size and then a hash of what they hold, and are counted one by one.
     """
     common.prepare(docs.sparkSession)
-    rows = docs.select(F.struct(*carry).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size"))
+    rows = docs.select(F.struct(*carry).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size"), F.xxhash64(*(carry or [text])).alias("tie"))
     plain = rows if carry else common.materialize(rows.drop("row"), "sizes")
     goal = common.materialize(targets(plain.select("source", "size"), weights, share, most), "targets")
     n_sources = goal.count()
     rank = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
     keyed = plain.withColumn("rank", rank)
-    order = [F.col("source").isNull(), F.col("source"), F.col("rank"), F.col("doc_id")]
-    placed = common.ordered_before(keyed, order, ["size"], "mixed").drop("rank")
+    order = [F.col("source").isNull(), F.col("source"), F.col("rank"), F.col("doc_id"), F.col("size"), F.col("tie")]
+    placed = common.ordered_before(keyed, order, ["size"], "mixed").drop("rank", "tie")
     goal = goal.select(F.col("source").alias("goal_source"), "source_size", "before", "target")
     out = placed.join(common.small(goal, n_sources), F.col("source").eqNullSafe(F.col("goal_source")))
     budget = F.floor("target").cast("long")
@@ -100,7 +100,7 @@ WITH d AS (
   SELECT r.source, source_size, least(cap, (total - capped) * w / free) AS target FROM r, l
 ), o AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
-         (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), d.doc_id
+         (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), d.doc_id, d.size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )

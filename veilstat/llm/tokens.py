@@ -104,11 +104,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id_co
 
     Texts are dealt by ranges of the id and sorted there, so each task writes the segments of one id range and no
     range depends on a key's frequency except for rows that share one id. Null texts count as empty, null ids come
-    first. A segment row holds its documents' ids and lengths and a Simple-8b payload.
+    first, rows of one id stand by a hash of their texts. A segment row holds its documents' ids and lengths and a Simple-8b payload.
     """
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_writer(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(out)
     return out
 

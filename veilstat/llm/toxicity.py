@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows the classifier is fitted on at most (those with the smallest hashes), and words and stems it keeps.
-FIT_ROWS, LEXICON = 20_000, 200_000
+#: Labelled documents the classifier is fitted on at most (those with the smallest hashes of their ids).
+FIT_ROWS = 20_000
 #: Distinct tokens a Python worker remembers.
 CACHE_ENTRIES = 400_000
 #: Weight of the shorter stem's share of toxic texts against the longer one's; lengths of stems.
@@ -240,18 +240,20 @@ def remainder(doc_id) -> "F.Column":
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labels(doc_id, toxic) outside remainder 0. Ids labelled twice count as toxic if any label says so.
 
     Character counts cover all documents. The classifier sees at most fit_rows labelled documents, so its words and
-    stems are bounded too; without both kinds of label every text scores the share of toxic ones.
+    stems are bounded too; of rows with one id it sees one text. Null ids and labels teach nothing; without both kinds
+    of label every text scores the share of toxic ones.
     """
     common.prepare(docs.sparkSession)
     cost = trigrams(docs.select(F.col("text")))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", remainder("doc_id").cast("int")).where("fold <> 0")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "fold")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")).select("text", "toxic", "fold")
     rows = common.materialize(rows.mapInArrow(_words(cost), "words array<string>, toxic int, fold int, text string"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     prior = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
@@ -263,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     early = F.when(F.col("fold") < 4, 1).otherwise(0)
     # a text with two words of one stem counts twice for it; that is left so, to keep this one map-side combined sum
     sums = each.groupBy("f").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"), F.sum(early * F.col("toxic")).alias("p0"), F.sum(early).alias("n0"))
-    got = sums.where("n >= 5 or (n >= 2 and p >= 2)").orderBy(F.desc("n"), "f").limit(lexicon).collect()
+    got = sums.where("n >= 5 or (n >= 2 and p >= 2)").collect()
     first = Model(cost, prior, {r["f"]: (r["p0"], r["n0"]) for r in got if r["n0"]}, np.zeros(5))
     fitted = rows.where("fold = 4").select("text", "toxic").mapInArrow(_rows(first), "a double, b double, c double, d double, toxic int").toPandas()
     if fitted["toxic"].nunique() < 2:
@@ -299,7 +301,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
+    """Scores of all documents, row by row; a null or empty text has a score too, repeated rows have one each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])

@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, window: int, buckets: int | None = None) ->
     spark = common.prepare(docs.sparkSession)
     if not buckets:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        buckets = max(64, min(size // BUCKET_BYTES, 1 << 15))
+        buckets = max(64, size // BUCKET_BYTES)
     dealt = _keyed(docs).select("k1", "k2", "text").mapInArrow(_deal(window, buckets), "bucket int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 8))
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), "k1 long, k2 long, start long, words long")

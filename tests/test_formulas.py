@@ -192,6 +192,38 @@ def test_codes(spark):
     assert marginals.all_marginals(joint, ["a", "b"], [2, 3]).where("a is null and b is null").first()["est"] == 6
 
 
+def test_likelihood_takes_all_rounds(spark, monkeypatch):
+    """Rounds go on past those planned at once, until nothing is negative."""
+    monkeypatch.setattr(postprocess, "ROUNDS", 1)
+    rng, m = np.random.default_rng(5), M.lh(1.0, 40)
+    x, n = np.where(np.arange(40) < 4, 200.0, 0) + rng.normal(0, 60, 40).round(3), 800.0
+    obs, e = (x * (m.p - m.q) + n * m.q) / n, x / n
+    a, b, rounds = m.p * (1 - m.p), m.q * (1 - m.q), 0
+    while not rounds or e.min() < 0:
+        pos = e > 0
+        z = (obs[pos].sum() - m.p - (pos.sum() - 1) * m.q) / (a + (pos.sum() - 1) * b)
+        e = np.where(pos, (obs - m.q - b * z) / (m.p - m.q + (a - b) * z), 0)
+        rounds += 1
+    assert rounds > 1 and column(postprocess.mle_apx(frame(spark, x), n, m)) == pytest.approx(list(e * n), abs=1e-5)
+
+
+def test_hashed_accounting(spark):
+    got = spark.range(1).select(shuffle.central_hash(F.lit(2.0), 1e-9, F.lit(1e6))).first()[0]
+    assert got == pytest.approx(math.sqrt(4 * 14 * math.log(2e9) / ((1e6 - 1) / (math.exp(2) + round(math.exp(1) + 1) - 1))))
+
+
+def test_users_of_transactions(spark, tmp_path):
+    """Equal lines are users of their own; ids don't move with the order of lines or the number of files."""
+    lines = ["1 2", "3", "1 2", "4 5 6"] * 5
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.dat").write_text("\n".join(lines))
+    (tmp_path / "b").mkdir()
+    for i in range(4):
+        (tmp_path / "b" / f"{i}.dat").write_text("\n".join(sorted(lines)[i::4]))
+    a, b = ({(r["user"], tuple(r["items"])) for r in tables.read_transactions(spark, str(tmp_path / x)).collect()} for x in "ab")
+    assert a == b and len(a) == len({u for u, _ in a}) == 20
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text("39, Private, 5\n40, ?, 6\n")
     d = tables.read_csv(spark, str(tmp_path / "a.csv"), "age int, work string, x int")

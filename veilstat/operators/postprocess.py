@@ -65,18 +65,28 @@ def norm_sub(est: DataFrame, n: float) -> DataFrame:
     return d.withColumn("est", tidy(new)).select(*est.columns)
 
 
-def _mle(est: DataFrame, n: float, m: Mechanism, rounds: int, first: bool, step) -> DataFrame:
+#: Rounds of the likelihood methods that are planned at once.
+ROUNDS = 6
+
+
+def _mle(est: DataFrame, n: float, m: Mechanism, first: bool, step) -> DataFrame:
+    """Rounds until nothing is negative; ROUNDS are planned at once, then one look tells whether more are needed."""
     d = est.withColumn("_o", m.observed(F.col("est"), F.lit(float(n))) / n).withColumn("est", F.col("est") / n)
-    for i in range(rounds):
-        again = F.lit(True) if first and not i else F.min("est").over(whole()) < 0
-        positive = F.col("est") > 0
-        d = d.withColumn("_again", again).withColumn("_k", F.sum(positive.cast("int")).over(whole())).withColumn("_s", F.sum(F.when(positive, F.col("_o")).otherwise(0.0)).over(whole()))
-        new = F.when(positive, step(F.col("_o"), F.col("_k"), F.col("_s"))).otherwise(0.0)
-        d = d.withColumn("est", F.when(F.col("_again"), new).otherwise(F.col("est")))
+    done = 0
+    while True:  # each round sets a cell to 0 for good, so the rounds end
+        for i in range(done, done + ROUNDS):
+            again = F.lit(True) if first and not i else F.min("est").over(whole()) < 0
+            positive = F.col("est") > 0
+            d = d.withColumn("_again", again).withColumn("_k", F.sum(positive.cast("int")).over(whole())).withColumn("_s", F.sum(F.when(positive, F.col("_o")).otherwise(0.0)).over(whole()))
+            new = F.when(positive, step(F.col("_o"), F.col("_k"), F.col("_s"))).otherwise(0.0)
+            d = d.withColumn("est", F.when(F.col("_again"), new).otherwise(F.col("est")))
+        done += ROUNDS
+        if (d.agg(F.min("est")).first()[0] or 0) >= 0:
+            break
     return d.withColumn("est", tidy(F.col("est") * n)).select(*est.columns)
 
 
-def mle_apx(est: DataFrame, n: float, m: Mechanism, rounds: int = 12) -> DataFrame:
+def mle_apx(est: DataFrame, n: float, m: Mechanism) -> DataFrame:
     """Approximate maximum likelihood; a round that leaves no negatives is the last. Cells once 0 stay 0."""
     p, q = m.p, m.q
     a, b = p * (1 - p), q * (1 - q)
@@ -85,13 +95,13 @@ def mle_apx(est: DataFrame, n: float, m: Mechanism, rounds: int = 12) -> DataFra
         x = (s - p - (k - 1) * q) / (a + (k - 1) * b)
         return (o - q - b * x) / (F.lit(p - q) + (a - b) * x)
 
-    return _mle(est, n, m, rounds, True, step)
+    return _mle(est, n, m, True, step)
 
 
-def mle_grr(est: DataFrame, n: float, m: Mechanism, rounds: int = 12) -> DataFrame:
+def mle_grr(est: DataFrame, n: float, m: Mechanism) -> DataFrame:
     """Maximum likelihood under randomised response; unchanged if nothing is negative."""
     p, q = m.p, m.q
-    return _mle(est, n, m, rounds, False, lambda o, k, s: (o / s * (k * q + (p - q)) - q) / (p - q))
+    return _mle(est, n, m, False, lambda o, k, s: (o / s * (k * q + (p - q)) - q) / (p - q))
 
 
 def _power_mean(x: np.ndarray, alpha: float) -> float:

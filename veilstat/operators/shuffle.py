@@ -30,7 +30,7 @@ def central_grr(e0: Column, delta: float, n: Column, d: Column, fakes: Column |
 
 def central_hash(e0: Column, delta: float, n: Column) -> Column:
     d = F.rint(F.exp(e0 / 2) + 1)
-    return blanket(F.lit(4 * _level(delta)), (n - 1) / (F.exp(e0 / 2) + d - 1))
+    return blanket(F.lit(4 * _level(delta)), (n - 1) / (F.exp(e0) + d - 1))
 
 
 def central_fakes(delta: float, fakes: Column, d: Column) -> Column:

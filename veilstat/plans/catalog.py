@@ -360,8 +360,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_norm_mul": _post(postprocess.norm_mul),
     "post_norm_cut": _post(postprocess.norm_cut),
     "post_norm_sub": _post(postprocess.norm_sub),
-    "post_mle_apx": _post(lambda e, n: postprocess.mle_apx(e, n, M.lh(EPS, 100), 4)),
-    "post_mle_grr": _post(lambda e, n: postprocess.mle_grr(e, n, M.lh(EPS, 100), 4)),
+    "post_mle_apx": _post(lambda e, n: postprocess.mle_apx(e, n, M.lh(EPS, 100))),
+    "post_mle_grr": _post(lambda e, n: postprocess.mle_grr(e, n, M.lh(EPS, 100))),
     "post_power": _post(lambda e, n: postprocess.power(e, n, M.lh(EPS, 100))),
     "sw_reports_hist": sw_hist,
     "sw_matrix": sw_matrix,

@@ -18,11 +18,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType, missing:
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """user, items (sorted, distinct) of a text file with the item numbers of a user on each line; # starts a comment.
 
-    user hashes the line's file and place in it, since lines carry no key.
+    Lines carry no key, so user hashes the line's text and its number among equal lines: it does not move with the
+    files' splits or order, and equal lines are users of their own.
     """
     lines = spark.read.text(path).where("value not rlike '^\\\\s*(#|$)'")
     items = F.array_sort(F.array_distinct(F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("int"))))
-    return lines.select(F.monotonically_increasing_id().alias("user"), items.alias("items"))
+    # equal lines are counted first and told apart by number then, so that no window holds them
+    per = lines.groupBy("value").agg(F.count("*").alias("n")).select("value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    return per.select(F.xxhash64("value", "i").alias("user"), items.alias("items"))
 
 
 def read_counted(spark: SparkSession, path: str, length: int) -> DataFrame:

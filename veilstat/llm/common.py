@@ -33,11 +33,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir; a temporary one only where that is unset and all is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_veil_dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = spark._veil_dir = "file://" + tempfile.mkdtemp(prefix="veil-")
     return base.rstrip("/")
 

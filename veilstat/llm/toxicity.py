@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labels(doc_id, toxic) outside remainder 0. Ids labelled twice count as toxic if any label says so.
 
     Character counts cover all documents. The classifier sees at most fit_rows labelled documents, so its words and
-    stems are bounded too; of rows with one id it sees one text. Null ids and labels teach nothing; without both kinds
+    stems are bounded too; rows with one id are seen one by one. Null ids and labels teach nothing; without both kinds
     of label every text scores the share of toxic ones.
     """
     common.prepare(docs.sparkSession)
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", remainder("doc_id").cast("int")).where("fold <> 0")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")).select("text", "toxic", "fold")
+    rows = rows.select("text", "toxic", "fold")
     rows = common.materialize(rows.mapInArrow(_words(cost), "words array<string>, toxic int, fold int, text string"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     prior = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)

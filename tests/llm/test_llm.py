@@ -164,6 +164,15 @@ def test_simhashes(spark):
         assert got[i] == sum(1 << b for b in range(62) if one[b])
 
 
+def test_sets_of_bits(spark):
+    """No id of the set is lost, and few others pass; an empty set passes none."""
+    ids = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    many = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    got = [r["id"] for r in lines._within(many, "h", lines._bits(ids, "h")).collect()]
+    assert set(range(5000)) <= set(got) and len(got) == len(set(got)) < 5050
+    assert lines._within(many, "h", lines._bits(ids.limit(0), "h")).count() == 0
+
+
 def test_small_edits_link(spark):
     """A letter, a word or two changed, a word added: linked at each length wherever the edit similarity is 0.8 or more."""
     rng = random.Random(4)

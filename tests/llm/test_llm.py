@@ -154,6 +154,32 @@ def test_crowded_buckets(spark):
     assert len({r["doc_id"] for r in got} & set(range(400, 500))) >= 97 and all(r["doc_id"] >= 400 for r in got)
 
 
+def test_crowded_buckets_are_whole(spark):
+    """Lines that share nothing but one crowded pair of words with the line they link to are found among all others."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(5))
+    base = [["acknowledgements", "internationalisation", *(word() for _ in range(8))] for _ in range(300)]
+    texts = [" ".join(w) for w in base] + [" ".join(x if i < 2 or i % 2 else x[:2] + "z" + x[3:] for i, x in enumerate(w)) for w in base[50:150]]
+    got = lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) >= 95 and all(300 <= r["doc_id"] < 400 for r in got)
+
+
+def test_letters_bound_edits(spark):
+    """The screen by letters never drops a pair within the edits that a link allows, and drops others."""
+    rng = random.Random(5)
+    some = []
+    for _ in range(400):
+        x = [rng.choice("abcdez é日") for _ in range(rng.choice((1, 20, 60, 127, 128)))]
+        y = [c if rng.random() > 0.15 else rng.choice(("", "q", c + "k")) for c in x] if rng.random() < 0.6 else [rng.choice("klmnop ") for _ in x]
+        some.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame(some, "x string, y string").withColumns({"sh_a": F.lit(-1).cast("long"), "sh_b": F.lit(-1).cast("long")})
+    for c, end in (("x", "_a"), ("y", "_b")):
+        df = df.withColumn("norm", F.col(c)).select("*", *(F.coalesce(b, F.lit(0)).alias(f"bag{k}{end}") for k, b in enumerate(lines._bags()))).drop("norm")
+    got = df.select("x", "y", lines._close("_a", "_b").alias("p"), lines._close("_b", "_a").alias("q")).collect()
+    link = [edits(r["x"], r["y"]) <= math.floor(max(len(r["x"]), len(r["y"])) * 0.2 + 1e-9) for r in got]
+    assert all(r["p"] and r["q"] for r, ok in zip(got, link) if ok) and sum(link) > 100 and sum(not r["p"] for r in got) > 100
+
+
 def test_simhashes(spark):
     texts = [" ".join(f"w{i}{'x' * (i % 5)}" for i in range(a, a + 40)) for a in range(5)]
     got = {r["h"]: r["sh"] for r in lines._simhashes(spark.createDataFrame([*enumerate(texts), (9, "few words")], "h long, norm string")).collect()}

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF, rows
@@ -406,6 +407,18 @@ def test_ids(spark, odd, tmp_path):
     assert tokens.read_ids(spark, empty).count() == 0
 
 
+def test_texts_encoded_together():
+    """Texts that are encoded together have the ids that the library gives each: odd signs, nulls, marks among them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, rng = tokens.ChunkEncoder(path), random.Random(1)
+    signs = list("aZ9éÿ×÷ßÀ.,  \n\t\r\x1c\x85\xa0 '’sl-_中😀\u0301")
+    texts = [None, "", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000))]
+    for some in (texts, [*texts, "a\0 b\0"], []):
+        ids, n = enc.encode_all(pa.array(some, pa.string()))
+        want = [enc.tokenizer.encode(x or "", add_special_tokens=False).ids for x in some]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 # 6 secrets
 
 

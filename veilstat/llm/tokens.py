@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +21,32 @@ from . import common, simple8b
 SEGMENT_IDS = 1 << 20
 #: Distinct chunks whose ids a Python worker remembers.
 CACHE_ENTRIES = 900_000
+#: Bytes of texts that are encoded together; their distinct chunks are looked up once.
+BLOCK_BYTES = 12 << 20
 #: Places where the byte-level pre-tokeniser always ends a piece, whatever stands around: before a blank or line end
 #: that follows no white space, and before a full stop or comma that follows a Latin letter or digit. Chunks between
 #: them can be encoded alone. A text in which each of these four characters stands so is cut without the pattern.
 _CUT = re.compile(r"(?<=[^\s])(?=[ \n])|(?<=[a-zA-Z0-9à-öø-ÿ])(?=[.,])")
 _UNCUT = re.compile(r"[ \n.,\0](?:(?<=[^a-zA-Z0-9à-öø-ÿ][.,])|(?<=\s[ \n])|(?<=\0))")
-_WORD = re.compile(r" ?[a-zA-Z]+")
+#: What _UNCUT finds, for RE2, which has no look-behind and whose white space is that of ASCII.
+_UNCUT_RE2 = r"[^a-zA-Z0-9à-öø-ÿ][.,]|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|\x00"
+_WORD = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+
+
+def _marked(text: str) -> str:
+    """A text that _UNCUT does not find, with a mark at each cut."""
+    return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n")
 
 
 def chunks(text: str) -> list[str]:
-    if _UNCUT.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0")
+    return _CUT.split(text) if _UNCUT.search(text) else _marked(text).split("\0")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level model."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
 _state: dict = {}
@@ -48,10 +63,13 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.signs = dict(enumerate(_byte_signs()))
+        self.word = _WORD if self.tokenizer.normalizer is None else re.compile(" ?[a-zA-Z]+")
 
     def __missing__(self, chunk: str) -> bytes:
-        if _WORD.fullmatch(chunk):  # one piece, whose bytes all stand for themselves: straight to the model
-            ids = [t.id for t in self.model.tokenize(chunk.replace(" ", "Ġ"))]
+        if self.word.fullmatch(chunk):  # one piece: its bytes' signs go straight to the model
+            signs = chunk.replace(" ", "Ġ") if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.signs)
+            ids = [t.id for t in self.model.tokenize(signs)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         got = self[chunk] = array("I", ids).tobytes()
@@ -62,6 +80,27 @@ class ChunkEncoder(dict):
             self.clear()
         return b"".join(map(self.__getitem__, chunks(text)))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after the other, and how many each has."""
+        texts = texts.fill_null("")
+        uncut, held = pc.match_substring_regex(texts, _UNCUT_RE2).to_pylist(), texts.to_pylist()
+        if any(u and "\0" in x for u, x in zip(uncut, held)):
+            got = [self.encode(x) for x in held]
+            return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        marked = ["\0".join(_CUT.split(x)) if u else _marked(x) for u, x in zip(uncut, held)]
+        parts = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+        coded = parts.values.dictionary_encode()
+        ids = [self[x] for x in coded.dictionary.to_pylist()]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, which = np.cumsum(n) - n, coded.indices.to_numpy()
+        each = n[which]
+        ends = np.cumsum(each)
+        place = np.repeat(first[which] - (ends - each), each)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(ids), "<u4")[place], np.diff(np.concatenate([[0], ends])[parts.offsets.to_numpy()])
+
 
 def _encoder(path: str) -> ChunkEncoder:
     if path not in _state:
@@ -69,28 +108,51 @@ def _encoder(path: str) -> ChunkEncoder:
     return _state[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until their texts have BLOCK_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size or held:
+        yield pa.Table.from_batches(held)
+
+
 def _writer(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), _encoder(path), np.uint32(end_id).tobytes()
+        part, enc = TaskContext.get().partitionId(), _encoder(path)
         segment, before, docs, lens, ids, held = 0, 0, [], [], [], 0
 
         def flush():
             nonlocal segment, before, docs, lens, ids, held
-            values = np.frombuffer(b"".join(ids), "<u4")
-            row = [[part], [segment], [before], [len(values)], [docs], [lens], [simple8b.encode(values)]]
+            values = np.concatenate(ids)
+            row = [[part], [segment], [before], [len(values)], [docs], [np.concatenate(lens)], [simple8b.encode(values)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             segment, before, docs, lens, ids, held = segment + 1, before + len(values), [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1)):
-                x = enc.encode(text.as_py() or "") + end
-                docs.append(d)
-                lens.append(len(x) // 4)
-                ids.append(x)
-                held += len(x) // 4
+        for block in _blocks(batches):
+            keys = block.column(0).to_pylist()
+            own, n = enc.encode_all(block.column(1).combine_chunks())
+            ends = np.cumsum(n + 1)
+            values = np.full(len(own) + len(n), end_id, own.dtype)
+            is_id = np.ones(len(values), bool)
+            is_id[ends - 1] = False
+            values[is_id] = own
+            at = 0
+            while at < len(keys):
+                done = int(ends[at - 1]) if at else 0
+                z = min(len(keys), int(np.searchsorted(ends, done + SEGMENT_IDS - held)) + 1)
+                docs += keys[at:z]
+                lens.append(n[at:z] + 1)
+                ids.append(values[done : ends[z - 1]])
+                held += int(ends[z - 1]) - done
+                at = z
                 if held >= SEGMENT_IDS:
                     yield flush()
         if docs:

@@ -1,5 +1,6 @@
 """Each operator against brute force, a round trip or held-out accuracy, and on odd rows: nulls, empties, ties, repeats."""
 
+import cProfile
 import hashlib
 import math
 import random
@@ -515,6 +516,19 @@ def test_equal_hashes():
         substrings._mix = old
 
 
+def test_words_of_stretches_are_numbered_at_once():
+    """A bucket's stretches are split and numbered together: a few calls for each stretch, none for each of its words."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("a", "bé", "c", "\0d", "longer")) + str(rng.randrange(10**6)) for _ in range(400)) for _ in range(30)]
+    keys = pa.array(range(30), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], names=["k1", "k2", "text"])
+    dealt = next(substrings._deal(35, 1)(iter([batch])))
+    stretches = len(substrings._unpack(dealt.column(1)[0].as_py())[0])
+    seen = cProfile.Profile()
+    assert not seen.runcall(list, substrings._judge(35)(iter([dealt])))  # nothing is repeated
+    assert stretches > 500 and sum(x.callcount for x in seen.getstats()) < 10 * stretches
+
+
 # 8 nearest neighbours
 
 

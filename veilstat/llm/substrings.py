@@ -14,17 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a minimiser; words that a task packs at once; bytes of input per bucket; distinct words remembered.
-MER, PACK, BUCKET_BYTES, CACHE_ENTRIES = 4, 1_000_000, 3_000_000, 300_000
+#: Words of a minimiser; words that a task packs at once; bytes of input per bucket.
+MER, PACK, BUCKET_BYTES = 4, 1_000_000, 3_000_000
 _HEAD = struct.Struct("<6I")
 _OCC, _KNOWN = (np.int32, np.int64, np.int64, np.int32), (np.int64, np.int64, np.int32, np.int32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_state: dict = {"words": {}}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,12 +35,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    known = _state["words"]
-    if len(known) > CACHE_ENTRIES:
-        known.clear()
-    for w in set(words).difference(known) if len(known) < len(words) else [w for w in set(words) if w not in known]:
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    return np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -211,17 +207,11 @@ def _judge(k: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in known], names=names)
         if not number:
             return
-        word: dict[bytes, int] = {}
-        ids: list[np.ndarray] = []
-        for c in number:
-            w = c.split(b" ")
-            for x in w:
-                if x not in word:
-                    word[x] = len(word)
-            ids.append(np.fromiter(map(word.__getitem__, w), np.int32, len(w)))
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
-        del ids, word, number
+        parts = pc.split_pattern(pa.array(list(number), pa.large_binary()), b" ")
+        del number
+        lens = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+        flat = parts.values.dictionary_encode().indices.to_numpy()
+        del parts
         first, n = np.cumsum(lens) - lens, lens - k + 1
         of = np.repeat(np.arange(len(lens)), n)
         step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,27 @@ def test_small_edits_link(spark):
     assert all(1 in got[i] for i in range(len(texts)))
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Broadcasts that nothing holds any more leave the driver, and line dedup asks for that between its steps."""
+    free = lambda: int(re.search(r",(\d+)\)", spark.sparkContext._jsc.sc().getExecutorMemoryStatus().toString())[1])
+    common.settle(spark)
+    time.sleep(1)  # Spark drops them in a thread of its own
+    before = free()
+    assert spark.range(10).join(F.broadcast(spark.range(300_000)), "id").count() == 10
+    assert free() < before - 2_000_000
+    for _ in range(20):
+        common.settle(spark)
+        if free() > before - 1_000_000:
+            break
+        time.sleep(0.5)
+    assert free() > before - 1_000_000
+    asked = []
+    monkeypatch.setattr(common, "settle", asked.append)
+    texts = ["some words stand here\nsome words stand hers", "nothing alike"]
+    assert [r["removed"] for r in lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [[1]]
+    assert len(asked) >= 4
+
+
 def test_op1_is_whole(spark, docs):
     assert catalog.QUERIES["op1_line_dedup"](spark, SF).count() == docs.count()
 

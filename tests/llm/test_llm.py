@@ -193,6 +193,13 @@ def test_simhashes(spark):
         assert got[i] == sum(1 << b for b in range(62) if one[b])
 
 
+def test_driver_keeps_little_free_memory(spark):
+    """After settle() the driver's heap has no more room than a quarter of it above what is used, some regions aside."""
+    common.settle(spark)
+    bean = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBean(spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    assert {k: bean.getVMOption(k).getValue() for k in common.FREE} == common.FREE
+
+
 def test_sets_of_bits(spark):
     """No id of the set is lost, and few others pass; an empty set passes none."""
     ids = spark.range(5000).select(F.xxhash64("id").alias("h"))

@@ -193,6 +193,44 @@ def test_simhashes(spark):
         assert got[i] == sum(1 << b for b in range(62) if one[b])
 
 
+def test_three_simhashes_tell_lines_apart(spark):
+    """Lines that share two fifths of their words pass by one SimHash now and then, by three hardly ever; linked lines pass."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    norms = []
+    for i in range(600):
+        x = [word() for _ in range(40)]
+        changed = set(rng.sample(range(40), 7 if i < 300 else 24))
+        norms += [" ".join(x), " ".join(word() if k in changed else w for k, w in enumerate(x))]
+    norms += ["few words", "z" + " z" * lines.WEIGHED]
+    got = {r["h"]: r for r in lines._simhashes(spark.createDataFrame(list(enumerate(norms)), "h long, norm string")).collect()}
+    assert set(got) == {*range(1200), 1201} and got[1201]["sh"] and got[1201]["sh2"] is None is got[1201]["sh3"]
+    far = [[(got[i][c] ^ got[i + 1][c]).bit_count() for c in ("sh", "sh2", "sh3")] for i in range(0, 1200, 2)]
+    assert all(sum(f) <= lines.WIDE for f in far[:300])
+    assert sum(sum(f) <= lines.WIDE for f in far[300:]) < sum(f[0] <= lines.DISTANCE for f in far[300:])
+    for c, k in (("sh2", 2), ("sh3", 3)):  # bit by bit
+        w = norms[0].split(" ")
+        ids = {x: xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(x, seed=42)) for x in w}
+        one = [2 * sum(len(x) for x in w if ids[x] >> b & 1) > sum(map(len, w)) for b in range(62)]
+        assert got[0][c] == sum(1 << b for b in range(62) if one[b])
+
+
+def test_long_lines_are_compared_exactly(spark):
+    """Of lines of up to 1000 letters with many or few changed words, those within the edits link and no others."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 9)))
+    pairs = []
+    for i in range(160):
+        x = [word() for _ in range(rng.choice((30, 60, 120)))]
+        y = [w if rng.random() > i / 400 else word() if i % 2 else w[:-1] for w in x]
+        y[5:5] = [word() for _ in range(i % 5)]
+        pairs.append((" ".join(x), " ".join(y)))
+    got = {(r["x"], r["y"]): r["linked"] for r in lines._similar(spark.createDataFrame(pairs, "x string, y string")).select("x", "y", "linked").collect()}
+    alike = lambda x, y: sum(map(len, x & y)) >= lines.SHARE * min(sum(map(len, x)), sum(map(len, y)))
+    want = {(x, y): edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9) and alike(set(x.split(" ")), set(y.split(" "))) for x, y in pairs}
+    assert got == want and 20 < sum(want.values()) < 150
+
+
 def test_driver_keeps_little_free_memory(spark):
     """After settle() the driver's heap has no more room than a quarter of it above what is used, some regions aside."""
     common.settle(spark)
